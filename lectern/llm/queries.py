@@ -7,8 +7,12 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.leakage import leaks
+from lectern.llm.levels import advanced_units, reading_levels
 from lectern.llm.lookalikes import consistent_symbols, consistent_tokens
 from lectern.llm.mojibake import repair_texts, repair_tokens
+from lectern.llm.repetition import repetition, repetitive
+from lectern.llm.tokenize import token_ids
 from lectern.sources.tables import table
 
 
@@ -24,6 +28,14 @@ def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return advanced_units(*[table(spark, sf_dir, t) for t in ("documents", "sentences", "gloss", "books")])
+
+
+def p2_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading_levels(*[table(spark, sf_dir, t) for t in ("documents", "sentences", "gloss", "books", "level_ratings")])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     sents = consistent_tokens(table(spark, sf_dir, "sentences"), "sent_key", "toks").where("changed > 0").select("key").distinct()
     symbols = consistent_symbols(table(spark, sf_dir, "experiment_alice"), "seq", F.col("v.e")).where("changed")
@@ -32,6 +44,26 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found, "p1_restored": p1_restored, "p4_found": p4_found}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetitive(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_levels, p4_found, p6_ids, p7_found, p7_spans, p8_found, p8_shares)}
 ORACLES: dict[str, str] = {}
 MODULES = [sys.modules[__name__]]
