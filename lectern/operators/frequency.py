@@ -35,7 +35,7 @@ def latest_by(df: DataFrame, key: str, version: str) -> DataFrame:
     before the shuffle. Maps cannot be ordered, so ties are broken on a hash of the row.
     """
     rest = [c for c in df.columns if c != key]
-    tie = F.xxhash64(*[F.to_json(F.struct(F.col(f"`{c}`"))) if t.startswith(("map", "struct", "array")) else F.col(f"`{c}`") for c, t in df.dtypes if c != key])
+    tie = F.xxhash64(*[F.map_entries(F.col(f"`{c}`")) if t.startswith("map") else F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in t else F.col(f"`{c}`") for c, t in df.dtypes if c != key])
     packed = (
         df.where(F.col(key).isNotNull())
         .groupBy(key)
