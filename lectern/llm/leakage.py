@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from lectern.functions.arrow import as_array
 from lectern.llm.mojibake import repair
 
-#: Words of a seed: the longest run that 12 words with two exchanged ones are sure to keep is shorter, so that the
-#: nominal one in eight always leaves a seed.
+#: Words of a seed. With one word in eight exchanged, some run of at least four words is always left whole: twelve
+#: words with one exchanged keep six in a row, sixteen with two keep five.
 SEED_WORDS = 4
 #: Words of the passage a leak holds in a row, and the words for each exchanged one.
 MIN_WORDS = 12
@@ -232,7 +232,6 @@ def _scan(index: SeedIndex, text_out: bool):
 
 def _item_blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[SeedIndex]:
     """Indexes over all items, each of bounded size; one block for an evaluation set of usual size."""
-    # Instructions are shared by many items, so they are counted over the first pass of a bounded block.
     block: list[tuple[int, str]] = []
     size = 0
     rows = items.where(F.col(item_text).isNotNull() & F.col(item_key).isNotNull()).select(F.col(item_key).cast("long"), item_text).dropDuplicates().orderBy(item_key, item_text).toLocalIterator()
