@@ -13,31 +13,40 @@ from lectern.llm.lookalikes import consistent_symbols, consistent_tokens
 from lectern.llm.mojibake import repair_texts, repair_tokens
 from lectern.llm.repetition import repetition, repetitive
 from lectern.llm.tokenize import token_ids
+from lectern.session import spread
 from lectern.sources.tables import table
 
 
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+def _sents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "sentences").select("sent_key", "book_id", "sec_idx", "toks", "loaded_at"))
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = repair_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
-    sents = repair_tokens(table(spark, sf_dir, "sentences"), "sent_key", "toks").select("sent_key").distinct()
+    docs = repair_texts(_docs(spark, sf_dir), "doc_id", "text")
+    sents = repair_tokens(_sents(spark, sf_dir), "sent_key", "toks").select("sent_key").distinct()
     return docs.select(F.lit("documents").alias("src"), F.col("doc_id").cast("string").alias("rec_key")).unionByName(
         sents.select(F.lit("sentences").alias("src"), F.col("sent_key").alias("rec_key"))
     )
 
 
 def p1_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return repair_texts(_docs(spark, sf_dir), "doc_id", "text")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return advanced_units(*[table(spark, sf_dir, t) for t in ("documents", "sentences", "gloss", "books")])
+    return advanced_units(_docs(spark, sf_dir), _sents(spark, sf_dir), *[table(spark, sf_dir, t) for t in ("gloss", "books")])
 
 
 def p2_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reading_levels(*[table(spark, sf_dir, t) for t in ("documents", "sentences", "gloss", "books", "level_ratings")])
+    return reading_levels(_docs(spark, sf_dir), _sents(spark, sf_dir), *[table(spark, sf_dir, t) for t in ("gloss", "books", "level_ratings")])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sents = consistent_tokens(table(spark, sf_dir, "sentences"), "sent_key", "toks").where("changed > 0").select("key").distinct()
+    sents = consistent_tokens(_sents(spark, sf_dir), "sent_key", "toks").where("changed > 0").select("key").distinct()
     symbols = consistent_symbols(table(spark, sf_dir, "experiment_alice"), "seq", F.col("v.e")).where("changed")
     return sents.select(F.lit("sentences").alias("src"), F.col("key").alias("rec_key")).unionByName(
         symbols.select(F.lit("experiment_alice").alias("src"), F.col("key").cast("string").alias("rec_key"))
@@ -45,23 +54,23 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return token_ids(_docs(spark, sf_dir), "doc_id", "text")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    return leaks(_docs(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
 def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"))
+    return leaks(_docs(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "eval_items"))
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetitive(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id")
+    return repetitive(_docs(spark, sf_dir), "doc_id", "text").select("doc_id")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return repetition(_docs(spark, sf_dir), "doc_id", "text")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_levels, p4_found, p6_ids, p7_found, p7_spans, p8_found, p8_shares)}
