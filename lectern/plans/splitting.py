@@ -5,15 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.operators.splitting import split_sentences
+from lectern.session import spread
 from lectern.sources.tables import table
 
 
+def _sents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "sentences").select("sent_key", "loaded_at", "toks", "breaks", "cuts", "rungs"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_sentences(table(spark, sf_dir, "sentences")).select("sent_key", "level")
+    return split_sentences(_sents(spark, sf_dir)).select("sent_key", "level")
 
 
 def p5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_sentences(table(spark, sf_dir, "sentences"))
+    return split_sentences(_sents(spark, sf_dir))
 
 
 QUERIES = {"p5_found": p5_found, "p5_pieces": p5_pieces}
