@@ -7,6 +7,7 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as Unicode text splitting knows it.
 WS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
@@ -22,7 +23,7 @@ NUMBER_WORDS = {
 }
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(StringType())
 def nfc(text: pa.Array) -> pa.Array:
     """NFC form; null stays null."""
     return pa.array([t if t is None or t.isascii() else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())

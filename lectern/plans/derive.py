@@ -112,11 +112,11 @@ def j4_homographs(spark, sf_dir):
     return best.select("lang", "surface", F.col("want").alias("head"), "pos", "gloss")
 
 
-@R.add(f"""WITH {TOKENS}, {_DICT}, keys AS (SELECT DISTINCT key FROM dict WHERE lang = 'de'), old AS (SELECT DISTINCT lower(tok) AS w FROM toks WHERE lang = 'de' AND lower(tok) NOT IN (SELECT key FROM keys)),
+@R.add(f"""WITH {TOKENS}, {_DICT}, keys AS (SELECT DISTINCT lower(key) AS key FROM (SELECT unnest(map_values(forms)) AS key FROM glosses WHERE lang = 'de') WHERE key IS NOT NULL), old AS (SELECT DISTINCT lower(tok) AS w FROM toks WHERE lang = 'de' AND lower(tok) NOT IN (SELECT key FROM keys)),
 v AS (SELECT w, unnest([replace(w, 'th', 't'), replace(w, 'ey', 'ei'), replace(replace(w, 'th', 't'), 'ey', 'ei'), replace(w, 'ß', 'ss')]) AS variant, unnest([0, 1, 2, 3]) AS ord FROM old)
 SELECT w, arg_min(variant, ord) AS modern FROM v JOIN keys ON variant = key WHERE variant <> w GROUP BY w""")
 def j5_archaic(spark, sf_dir):
-    keys = _dictionary(spark, sf_dir).where("lang = 'de'").select("key").distinct()
+    keys = glosses(spark, sf_dir, "lang", "forms").where("lang = 'de'").select(F.explode("forms").alias("s", "key")).where("key IS NOT NULL").select(F.lower("key").alias("key")).distinct()
     old = _tokens(spark, sf_dir).where("lang = 'de'").select(F.lower("tok").alias("w")).distinct().join(keys, F.col("w") == F.col("key"), "left_anti")
     v = old.select("w", F.posexplode(T.orth_variants(F.col("w"))).alias("ord", "variant"))
     return v.join(keys, F.col("variant") == F.col("key"), "left_semi").groupBy("w").agg(F.min_by("variant", "ord").alias("modern"))
