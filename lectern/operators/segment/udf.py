@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lectern.functions.arrow import as_array
+from lectern.operators.segment.flat import flat_levels
 from lectern.operators.segment.levels import derive_levels, rungs
 from lectern.operators.segment.parse import Parsed, rule_annotate
 from lectern.operators.segment.strength import break_strengths
@@ -38,3 +39,15 @@ def segment(sentences: DataFrame, annotate: Annotator = rule_annotate) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column("sent_key"), *[pa.array([g[i] for g in got], t) for i, t in enumerate(_TYPES)]], ["sent_key", "breaks", "cuts", "rungs"])
 
     return sentences.select("sent_key", "toks", "sp", "pos", "lang").mapInArrow(run, SCHEMA)
+
+
+def segment_flat(sentences: DataFrame, annotate: Annotator = rule_annotate) -> DataFrame:
+    """(sent_key, cuts) of the flat segmenter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [as_array(batch.column(c)).to_pylist() for c in ("toks", "sp", "pos", "lang")]
+            got = [list(flat_levels(annotate([t or "" for t in toks or []], sp or "", pos, lang or "en")).items()) for toks, sp, pos, lang in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch.column("sent_key"), pa.array(got, _TYPES[1])], ["sent_key", "cuts"])
+
+    return sentences.select("sent_key", "toks", "sp", "pos", "lang").mapInArrow(run, "sent_key string, cuts map<string,array<int>>")

@@ -10,7 +10,7 @@ from lectern.functions import symbols
 from lectern.functions import text as T
 from lectern.functions.match import PASS, score_udf
 from lectern.operators import derive as D
-from lectern.operators.segment.udf import segment
+from lectern.operators.segment.udf import segment, segment_flat
 from lectern.operators.timing import run_ends
 from lectern.plans.common import GLOSSES, Registry, glosses, sentences
 from lectern.plans.text import cache
@@ -42,6 +42,12 @@ def c14_rungs(spark, sf_dir):
     return _segmented(spark, sf_dir).where("size(rungs) > 0").select("sent_key", "rungs")
 
 
+@R.add()
+def c26_flat_pieces(spark, sf_dir):
+    """Cuts of the flat segmenter, level by level."""
+    return segment_flat(spread(sentences(spark, sf_dir, "toks", "sp", "pos", "lang"))).select("sent_key", F.explode("cuts").alias("level", "cuts"))
+
+
 def _attempts(spark, sf_dir):
     """Reference, attempt and discount of each sentence; the attempt leaves out every seventh token, in old spelling."""
     s = sentences(spark, sf_dir, "toks", "sp", "orth", "ents").where("size(toks) > 0").withColumn("r", D.display_runs(F.col("toks"), F.col("sp"), F.col("orth"), F.col("ents")))
