@@ -62,8 +62,8 @@ def source_hash(raw: Column) -> Column:
 
 def strip_markers(text: Column) -> Column:
     """The part between a START and an END marker line, each of them optional."""
-    head = F.regexp_replace(text, r"(?s)^.*?\*\*\* ?START OF [^\n]*\*\*\*", "")
-    return F.regexp_replace(head, r"(?s)\*\*\* ?END OF [^\n]*\*\*\*.*$", "")
+    head = F.regexp_replace(text, r"(?s)^.*?\*\*\* ?START OF [^\n]*?\*\*\*", "")
+    return F.regexp_replace(head, r"(?s)\*\*\* ?END OF [^\n]*?\*\*\*.*$", "")
 
 
 def clean(text: Column) -> Column:

@@ -9,7 +9,8 @@ from lectern.functions import text as T
 
 #: English entity labels that name something; other languages keep all labels.
 NAME_LABELS = ["PERSON", "GPE", "LOC", "FAC", "NORP"]
-OPENERS = ["“", "‘", "„", "‚", "»", "("]
+# Marks that open what follows, as a pattern for the end of a piece.
+OPENING = {"de": r"[\s„‚»(—–]+$", "en": r"[\s“‘(—–]+$"}
 
 
 def sections(paragraphs: DataFrame, keys: list[str], order: str, p: str) -> DataFrame:
@@ -65,11 +66,16 @@ def absorb_wordless(units: DataFrame, keys: list[str], order: str, text: str) ->
     return packed.where(first > 0).select(*keys, F.get(F.transform("l", lambda x: x[order]), (first - 1).cast("int")).alias(order), F.transform("l", lambda x: x[text]).alias("parts"), (first - 1).cast("int").alias("shift"))
 
 
-def shift_openers(pieces: DataFrame, keys: list[str], order: str, text: str) -> DataFrame:
-    """Trailing opening marks of a piece moved to the front of the next piece of the same group."""
+def shift_openers(pieces: DataFrame, keys: list[str], order: str, text: str, lang: str) -> DataFrame:
+    """Trailing opening marks of a piece moved to the front of the next piece of the same group.
+
+    Which marks open depends on the language column; others than German use the English ones.
+    """
     w = Window.partitionBy(*keys).orderBy(order)
-    run = r"[\s“‘„‚»(]+$"
-    movable = F.col(text).rlike(run) & T.is_word(F.regexp_replace(text, run, "")) & F.lead(F.lit(1)).over(w).isNotNull() & (F.trim(F.regexp_extract(text, rf"({run})", 1)) != "")
-    marked = pieces.withColumn("__moved", F.when(movable, F.trim(F.regexp_extract(text, rf"({run})", 1))).otherwise(""))
-    cut = F.when(F.col("__moved") != "", F.regexp_replace(text, run, "")).otherwise(F.col(text))
-    return marked.withColumn("__front", F.coalesce(F.lag("__moved").over(w), F.lit(""))).withColumn(text, F.concat("__front", cut)).drop("__moved", "__front")
+    by_lang = lambda of: F.when(F.col(lang) == "de", of(OPENING["de"])).otherwise(of(OPENING["en"]))
+    head = by_lang(lambda run: F.regexp_replace(text, run, ""))
+    tail = F.trim(by_lang(lambda run: F.regexp_extract(text, f"({run})", 1)))
+    movable = T.is_word(head) & (tail != "") & F.lead(F.lit(1)).over(w).isNotNull()
+    marked = pieces.withColumn("__head", head).withColumn("__moved", F.when(movable, tail).otherwise(""))
+    cut = F.when(F.col("__moved") != "", F.col("__head")).otherwise(F.col(text))
+    return marked.withColumn("__front", F.coalesce(F.lag("__moved").over(w), F.lit(""))).withColumn(text, F.concat("__front", cut)).drop("__head", "__moved", "__front")

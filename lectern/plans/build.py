@@ -85,13 +85,13 @@ def c18_finalize(spark, sf_dir):
     return s.select("sent_key", T.short_hash(F.col("norm")).alias("id"), size(F.col("ents")).alias("n_ents"), size(F.col("breaks")).alias("n_breaks"), size(levels).alias("n_levels"), (F.col("norm") == text).alias("exact"))
 
 
-_OPEN = r"[\s“‘„‚»(]+$"
-
-
-@R.add(rf"""WITH {CHUNKS}, m AS (SELECT book_id, level, sec_idx, i, t, CASE WHEN regexp_matches(t, '{_OPEN}') AND regexp_matches(regexp_replace(t, '{_OPEN}', ''), '[\pL\pN]') AND lead(1) OVER w IS NOT NULL THEN trim(regexp_extract(t, '({_OPEN})', 1), ' ') ELSE '' END AS moved FROM chunks WINDOW w AS (PARTITION BY book_id, level, sec_idx ORDER BY i))
-SELECT book_id, level, i, coalesce(lag(moved) OVER (PARTITION BY book_id, level, sec_idx ORDER BY i), '') || CASE WHEN moved <> '' THEN regexp_replace(t, '{_OPEN}', '') ELSE t END AS t FROM m""")
+@R.add(rf"""WITH {CHUNKS}, c AS (SELECT c.*, CASE WHEN s.lang = 'de' THEN regexp_replace(t, '{P.OPENING["de"]}', '') ELSE regexp_replace(t, '{P.OPENING["en"]}', '') END AS head, CASE WHEN s.lang = 'de' THEN trim(regexp_extract(t, '({P.OPENING["de"]})', 1), ' ') ELSE trim(regexp_extract(t, '({P.OPENING["en"]})', 1), ' ') END AS tail FROM chunks c JOIN sents s ON c.sent_key = s.sent_key),
+m AS (SELECT *, CASE WHEN regexp_matches(head, '[\pL\pN]') AND tail <> '' AND lead(1) OVER w IS NOT NULL THEN tail ELSE '' END AS moved FROM c WINDOW w AS (PARTITION BY book_id, level, sec_idx ORDER BY i))
+SELECT book_id, level, i, coalesce(lag(moved) OVER (PARTITION BY book_id, level, sec_idx ORDER BY i), '') || CASE WHEN moved <> '' THEN head ELSE t END AS t FROM m""")
 def c27_shift_openers(spark, sf_dir):
-    return P.shift_openers(_chunks(spark, sf_dir).select("book_id", "level", "sec_idx", "i", "t"), ["book_id", "level", "sec_idx"], "i", "t").select("book_id", "level", "i", "t")
+    lang = sentences(spark, sf_dir, "lang").select("sent_key", "lang")
+    pieces = _chunks(spark, sf_dir).join(lang, "sent_key").select("book_id", "level", "sec_idx", "i", "t", "lang")
+    return P.shift_openers(pieces, ["book_id", "level", "sec_idx"], "i", "t", "lang").select("book_id", "level", "i", "t")
 
 
 @R.add(f"""WITH {LOOKUP}, curated AS (SELECT k AS lemma, min(e) AS symbol FROM (SELECT unnest(map_keys(words)) AS k, unnest(map_values(words)).e AS e FROM glosses) WHERE e IS NOT NULL AND e <> '' GROUP BY k)

@@ -32,8 +32,8 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(extra)
 
 
-@R.add(rf"""WITH {DOCS}, a AS (SELECT doc_id, regexp_replace(text, '(?s)^.*?\*\*\* ?START OF [^\n]*\*\*\*', '') AS t FROM docs)
-SELECT doc_id, md5(regexp_replace(t, '(?s)\*\*\* ?END OF [^\n]*\*\*\*.*$', '')) AS body FROM a""")
+@R.add(rf"""WITH {DOCS}, a AS (SELECT doc_id, regexp_replace(text, '(?s)^.*?\*\*\* ?START OF [^\n]*?\*\*\*', '') AS t FROM docs)
+SELECT doc_id, md5(regexp_replace(t, '(?s)\*\*\* ?END OF [^\n]*?\*\*\*.*$', '')) AS body FROM a""")
 def t1_strip_markers(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(T.strip_markers(F.col("text"))).alias("body"))
 
