@@ -33,7 +33,7 @@ def run_stage(items: DataFrame, prompt: str, answers: DataFrame, client: Client
     """
     wanted = items.select("item").where("item IS NOT NULL").distinct()
     have = wanted.join(answers, "item").select("item", "v", F.lit("cache").alias("source"))
-    todo = wanted.join(answers, "item", "left_anti").coalesce(requests)
+    todo = wanted.join(answers, "item", "left_anti").repartition(requests)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending: list[str] = []

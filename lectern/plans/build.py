@@ -270,3 +270,33 @@ def m4_silence_trim(spark, sf_dir):
     loud = F.abs("value") > 20
     n = s.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(loud, F.col("i"))).alias("first"), F.max(F.when(loud, F.col("i"))).alias("last"))
     return n.select("user_id", F.when(F.col("first").isNull(), F.lit(0)).otherwise(F.greatest(F.col("first") - 2, F.lit(0))).alias("a"), F.when(F.col("first").isNull(), F.col("n")).otherwise(F.least(F.col("last") + 5, F.col("n"))).alias("b"))
+
+
+@R.add(rf"""WITH {SENTS} SELECT sent_key, len(list_filter(range(1, len(toks) + 1), lambda i: regexp_matches(toks[i], '[\pL\pN]') AND NOT (i > 2 AND coalesce(toks[i - 1] = '-', false) AND substr(sp, i - 2, 2) = '00'))) AS wc_tok,
+  len(list_filter(regexp_split_to_array({duck_join('toks', 'sp')}, '\s+'), lambda w: w <> '')) AS wc_split, len(list_filter(regexp_split_to_array({duck_join('toks', 'sp')}, '\s+'), lambda w: regexp_matches(w, '[\pL\pN]'))) AS wc_alnum,
+  len(list_filter(toks, lambda t: regexp_matches(t, '[\pL\pN]'))) AS wc_tokalnum, length(regexp_replace(substr(sp, 1, length(sp) - 1), '[^1]', '', 'g')) + 1 AS wc_runs FROM sents WHERE len(toks) > 0""")
+def n1_word_counts(spark, sf_dir):
+    """The five ways to count words of a sentence, side by side."""
+    text = T.join_tokens(F.col("toks"), F.col("sp"))
+    pieces = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    counts = {
+        "wc_tok": T.token_word_count(F.col("toks"), F.col("sp")),
+        "wc_split": F.size(pieces),
+        "wc_alnum": F.size(F.filter(pieces, T.is_word)),
+        "wc_tokalnum": F.size(F.filter("toks", T.is_word)),
+        "wc_runs": F.length(F.regexp_replace(F.substring("sp", F.lit(1), F.length("sp") - 1), "[^1]", "")) + 1,
+    }
+    s = sentences(spark, sf_dir, "toks", "sp").where("size(toks) > 0")
+    return s.select("sent_key", *[c.cast("long").alias(name) for name, c in counts.items()])
+
+
+@R.add(f"""WITH {SENTS}, b AS (SELECT sent_key, cuts, unnest(breaks).k AS k, unnest(breaks).s AS s FROM sents) SELECT sent_key, k, s, CASE WHEN list_contains(cuts['advanced'], k) THEN 'advanced' WHEN list_contains(cuts['intermediate'], k) THEN 'intermediate'
+  WHEN list_contains(cuts['beginner'], k) THEN 'beginner' WHEN list_contains(cuts['starter'], k) THEN 'starter' END AS level, CASE WHEN s = 0 THEN 'forced' WHEN s >= 85 THEN 'clause' WHEN s >= 60 THEN 'phrase' WHEN s >= 30 THEN 'edge' ELSE 'tight' END AS kind FROM b""")
+def d1_explain_chunks(spark, sf_dir):
+    """Each possible break with its strength, the kind of seam, and the coarsest level that cuts there."""
+    s = sentences(spark, sf_dir, "breaks", "cuts").select("sent_key", "cuts", F.explode("breaks").alias("b")).select("sent_key", "cuts", "b.k", "b.s")
+    level = F.lit(None).cast("string")
+    for x in reversed(D.LEVELS):
+        level = F.when(F.array_contains(F.try_element_at("cuts", F.lit(x)), F.col("k")), x).otherwise(level)
+    kind = F.when(F.col("s") == 0, "forced").when(F.col("s") >= 85, "clause").when(F.col("s") >= 60, "phrase").when(F.col("s") >= 30, "edge").otherwise("tight")
+    return s.select("sent_key", "k", "s", level.alias("level"), kind.alias("kind"))
