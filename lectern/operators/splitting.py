@@ -120,13 +120,41 @@ def split_levels(words: np.ndarray, breaks, cuts: dict, rungs, limits: dict[str,
     return found
 
 
+def oversized(cuts: pa.Array, starts: np.ndarray, sizes: np.ndarray, running: np.ndarray, limits: dict[str, int]) -> np.ndarray:
+    """Rows with a stored piece over the limit of some level, from the columns of a whole batch.
+
+    ``running`` counts the words before each token of the batch, ``starts`` and ``sizes`` place the rows in it.
+    """
+    n = len(sizes)
+    bad = np.zeros(n, bool)
+    some = np.flatnonzero(cuts.is_valid().to_numpy(zero_copy_only=False))
+    maps = cuts.take(pa.array(some))
+    offsets = maps.offsets.to_numpy()
+    keys = maps.keys.slice(offsets[0], offsets[-1] - offsets[0])
+    items = maps.items.slice(offsets[0], offsets[-1] - offsets[0])
+    entry_row = np.repeat(some, np.diff(offsets))
+    spots = pc.fill_null(pc.list_flatten(items), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    entry = pc.list_parent_indices(items).to_numpy(zero_copy_only=False).astype(np.int64)
+    rows = np.flatnonzero(sizes > 0)
+    ends = starts + sizes
+    for level, limit in limits.items():
+        own = pc.fill_null(pc.equal(keys, level), False).to_numpy(zero_copy_only=False)[entry] if len(entry) else np.zeros(0, bool)
+        row, spot = entry_row[entry[own]], spots[own]
+        inside = (spot > 0) & (spot < sizes[row])
+        edge_row = np.concatenate([row[inside], rows, rows])
+        edge = np.concatenate([starts[row[inside]] + spot[inside], starts[rows], ends[rows]])
+        order = np.lexsort((edge, edge_row))
+        edge_row, words = edge_row[order], running[edge[order]]
+        over = (np.diff(words) > limit) & (edge_row[1:] == edge_row[:-1])
+        bad[edge_row[1:][over]] = True
+    return bad
+
+
 SPLIT = "array<struct<level: string, longest: int, pieces: array<struct<a: int, b: int>>>>"
 _SPLIT_ARROW = pa.list_(pa.struct([("level", pa.string()), ("longest", pa.int32()), ("pieces", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))]))
 
 
 def _splitter(limits: dict[str, int], overlap: int):
-    least = min(limits.values())
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -139,8 +167,7 @@ def _splitter(limits: dict[str, int], overlap: int):
             sizes = pc.fill_null(pc.list_value_length(toks), 0).to_numpy(zero_copy_only=False).astype(np.int64)
             ends = np.cumsum(sizes)
             starts = ends - sizes
-            words = running[ends] - running[starts]
-            chosen = np.flatnonzero(words > least)
+            chosen = np.flatnonzero(oversized(as_array(batch.column("cuts")), starts, sizes, running, limits))
             breaks, cuts, rungs = (as_array(batch.column(c)).take(pa.array(chosen)).to_pylist() for c in ("breaks", "cuts", "rungs"))
             out: list[list[dict]] = [[] for _ in range(n)]
             for i, row in enumerate(chosen):

@@ -68,3 +68,22 @@ def test_defined_cases(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+def test_found_levels_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    data = []
+    for i in range(300):
+        toks = None if i % 41 == 0 else [rng.choice(["w", "w", "w", ",", None]) for _ in range(rng.randint(0, 40))]
+        cuts = None if i % 11 == 0 else {x: None if rng.random() < 0.1 else [rng.choice([None, -2, 0, 3, 7, 12, 18, 25, 33, 60]) for _ in range(rng.randint(0, 9))] for x in LIMITS if rng.random() < 0.8}
+        data.append((f"s{i}", toks, None, cuts, None, datetime(2024, 1, 1), "x", 1, "y"))
+    want = set()
+    for key, toks, _, cuts, *_ in data:
+        n = len(toks or [])
+        for level, limit in LIMITS.items():
+            edges = sorted({0, n, *(k for k in (cuts or {}).get(level) or [] if k and 0 < k < n)})
+            if any(sum(t == "w" for t in toks[a:b]) > limit for a, b in zip(edges, edges[1:])):
+                want.add((key, level))
+    assert set(run(spark, data)) == want
