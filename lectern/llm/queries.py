@@ -74,5 +74,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_restored, p2_found, p2_levels, p4_found, p6_ids, p7_found, p7_spans, p8_found, p8_shares)}
-ORACLES: dict[str, str] = {}
+_RUNS = r"""WITH w AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(lower(coalesce(text, '')), '\pL+') AS words FROM documents),
+g AS (SELECT row, i, words[i : i + 4] AS gram FROM w, unnest(range(1, len(words) - 3)) AS u(i)), f AS (SELECT row, i, min(i) OVER (PARTITION BY row, gram) AS first FROM g),
+c AS (SELECT row, count(DISTINCT k) AS covered FROM f, unnest(range(i, i + 5)) AS u(k) WHERE i > first GROUP BY row),
+shares AS (SELECT w.doc_id, CAST(len(words) AS INTEGER) AS words, CASE WHEN len(words) > 0 THEN coalesce(covered, 0) / len(words) ELSE 0 END AS share FROM w LEFT JOIN c ON w.row = c.row)
+"""
+ORACLES: dict[str, str] = {
+    "p8_found": _RUNS + "SELECT doc_id FROM shares WHERE share >= 0.3",
+    "p8_shares": _RUNS + "SELECT doc_id, words, CAST(share AS DOUBLE) AS share FROM shares",
+}
 MODULES = [sys.modules[__name__]]
