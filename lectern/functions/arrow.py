@@ -45,3 +45,17 @@ def map_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callab
                 yield out
 
     return run
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: str, most: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a text column stays under a size in each, or holds one text; no row is lost."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(as_array(batch.column(column))), 0).to_numpy(zero_copy_only=False)
+        start, size = 0, 0
+        for row, n in enumerate(sizes.tolist()):
+            if size and size + n > most:
+                yield batch.slice(start, row - start)
+                start, size = row, 0
+            size += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
