@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.arrow import as_array
+from lectern.functions.arrow import as_array, by_bytes
 from lectern.llm.mojibake import repair
 
 #: Words of a seed. With one word in eight exchanged, some run of at least four words is always left whole: twelve
@@ -191,10 +191,10 @@ def verify(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> t
     return best
 
 
-def _scan(index: SeedIndex, text_out: bool):
+def _scan(index: SeedIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, get = Folder(), index.vocabulary.get
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             texts = as_array(batch.column("text")).to_pylist()
             rows, keys, spans = [], [], []
             ids, owner, begin = [], [], []
@@ -257,7 +257,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     schema = f"key {kind}, item_id long, words int, errors int, start_word int, end_word int"
     found = None
     for index in _item_blocks(items, item_key, item_text):
-        part = slim.mapInArrow(_scan(index, False), schema)
+        part = slim.mapInArrow(_scan(index), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)

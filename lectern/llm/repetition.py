@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.arrow import as_array
+from lectern.functions.arrow import as_array, by_bytes
 
 #: Words in a repeated run, and the share from which a document counts as repetitive.
 RUN_WORDS = 5
@@ -144,33 +144,22 @@ def plan_rules(texts: pa.Array, threshold: float = THRESHOLD) -> list[str]:
     return order
 
 
-def _blocks(texts: pa.Array) -> Iterator[np.ndarray]:
-    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    group = np.cumsum(sizes) // BLOCK
-    for g in np.unique(group):
-        yield np.flatnonzero(group == g)
-
-
 def _measurer(order: list[str] | None, threshold: float):
     """With rules only the documents at or over the threshold come out; without, all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = as_array(batch.column("text"))
-            for rows in _blocks(texts):
-                words = Words(texts.take(pa.array(rows)))
-                alive, part = np.arange(words.n), words
-                for name in order or ():
-                    alive = alive[RULES[name](part, threshold)[alive]]
-                    part = words.keep(alive)
-                share = repeated_share(part)[alive]
-                if order is not None:
-                    hit = share >= threshold - 1e-9
-                    alive, share = alive[hit], share[hit]
-                keys = batch.column("key").take(pa.array(rows[alive]))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(words.count[alive].astype(np.int32)), pa.array(share)], ["key", "words", "share"])
+        for batch in by_bytes(batches, "text", BLOCK):
+            words = Words(as_array(batch.column("text")))
+            alive, part = np.arange(words.n), words
+            for name in order or ():
+                alive = alive[RULES[name](part, threshold)[alive]]
+                part = words.keep(alive)
+            share = repeated_share(part)[alive]
+            if order is not None:
+                hit = share >= threshold - 1e-9
+                alive, share = alive[hit], share[hit]
+            keys = batch.column("key").take(pa.array(alive))
+            yield pa.RecordBatch.from_arrays([keys, pa.array(words.count[alive].astype(np.int32)), pa.array(share)], ["key", "words", "share"])
 
     return run
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.functions.arrow import as_array
+from lectern.functions.arrow import as_array, by_bytes
 
 #: Folder of the vocabulary files.
 TOKENIZER_DIR = os.environ.get("LECTERN_TOKENIZERS", "/opt/tokenizers")
@@ -91,15 +91,8 @@ def encode_array(texts: pa.Array, name: str = VOCABULARY, folder: str = TOKENIZE
 def _encoder(name: str, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, list[int]] = {}
-        for batch in batches:
-            texts = as_array(batch.column("text"))
-            # Very long texts make their own block, so that memory follows the longest text and not the batch.
-            sizes = np.asarray(texts.cast(pa.large_binary()).fill_null(b"").value_lengths()) if hasattr(texts, "value_lengths") else np.array([len(t or "") for t in texts.to_pylist()])
-            group = np.cumsum(sizes) // BLOCK
-            for g in np.unique(group) if len(group) else []:
-                rows = np.flatnonzero(group == g)
-                part = batch.slice(int(rows[0]), len(rows))
-                yield pa.RecordBatch.from_arrays([part.column("key"), encode_array(part.column("text"), name, folder, cache)], ["key", "ids"])
+        for batch in by_bytes(batches, "text", BLOCK):
+            yield pa.RecordBatch.from_arrays([batch.column("key"), encode_array(batch.column("text"), name, folder, cache)], ["key", "ids"])
 
     return run
 
