@@ -39,8 +39,8 @@ def violations(t: Column, following: Column, lang: Column) -> dict[str, Column]:
     last = F.coalesce(F.get(toks, F.size(toks) - 1), none)
     before = F.coalesce(F.get(toks, F.size(toks) - 2), none)
     low = F.lower(last)
-    words = F.filter(toks, lambda w: w.rlike(r"[\p{L}\p{N}_]"))
-    first = F.coalesce(F.get(F.filter(lint_tokens(F.coalesce(following, none)), lambda w: w.rlike(r"[\p{L}\p{N}_]")), F.lit(0)), none)
+    words = F.filter(toks, lambda w: w.rlike(r"^[\p{L}\p{N}_’'-]+$"))
+    first = F.coalesce(F.get(F.filter(lint_tokens(F.coalesce(following, none)), lambda w: w.rlike(r"^[\p{L}\p{N}_’'-]+$")), F.lit(0)), none)
     strict = member(low, "prep_strict") & ~member(low, "sub")
     return {
         "glued_dash": t.rlike(r"\S[—–]\S"),

@@ -22,6 +22,11 @@ def norm_word(word: str) -> str:
     return _DROPPED.sub("", unicodedata.normalize("NFC", word).lower().replace("ß", "ss"))
 
 
+def norm_words(text: str) -> list[str]:
+    """Words of what was said; characters that belong to no word part words."""
+    return _DROPPED.sub(" ", unicodedata.normalize("NFC", text).lower().replace("ß", "ss")).split()
+
+
 def number_of(word: str) -> int | None:
     return int(word) if word.isascii() and word.isdigit() else NUMBER_WORDS.get(word)
 
@@ -85,7 +90,7 @@ def score(reference: str | None, hypothesis: str | None, discount: list[bool] |
     """
     shown = (reference or "").split()
     norm = [norm_word(w) for w in shown]
-    marks = iter(matched_words([w for w in norm if w], [w for w in map(norm_word, (hypothesis or "").split()) if w]))
+    marks = iter(matched_words([w for w in norm if w], norm_words(hypothesis or "")))
     tokens, matched, total = [], 0, 0
     for k, (display, word) in enumerate(zip(shown, norm)):
         ok = next(marks) if word else None

@@ -12,13 +12,20 @@ from pyspark.sql.types import StringType
 #: White space as Unicode text splitting knows it.
 WS = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 
-# What makes a heading.
-HEADING_WORDS = "chapter|kapitel|letter|brief|book|buch|part|teil|preface|vorwort|vorrede|prologue|prolog|epilogue|epilog|volume|band"
-TITLE_STOP = ["a", "an", "the", "of", "and", "in", "on", "to", "or", "der", "die", "das", "und", "von", "vom", "im", "in", "zu", "zum", "zur", "ein", "eine", "des", "dem", "den"]
-TITLE_END = [".", ",", ";", ":", "!", "?", "—", "-"]
+#: Its complement.
+NOT_WS = WS.replace("[", "[^", 1)
+# Fixed value: the marker lines around a book's body.
+MARKER = r"\*\*\* ?{} OF (?:THE|THIS) PROJECT GUTENBERG[^\n]*?\*\*\*"
+# What makes a heading, small words that need no capital, and marks a title does not end in.
+HEADING_WORDS = "chapter|kapitel|book|buch"
+TITLE_STOP = (
+    "der die das und oder von vom dem den des im in an auf zu zur zum mit bei um für aus nach vor über unter un syner einem einer ein eine "
+    "the and of in a an or to at on for"
+).split()
+TITLE_END = list(".!?…,;:”’\"'«»‹›")
 # Spelled numbers of the scorer.
 NUMBER_WORDS = {
-    "null": 0, "eins": 1, "ein": 1, "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9, "zehn": 10, "elf": 11, "zwölf": 12,
+    "null": 0, "eins": 1, "ein": 1, "eine": 1, "zwei": 2, "drei": 3, "vier": 4, "fünf": 5, "fuenf": 5, "sechs": 6, "sieben": 7, "acht": 8, "neun": 9, "zehn": 10, "elf": 11, "zwölf": 12, "zwoelf": 12,
     "zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "eleven": 11, "twelve": 12,
 }
 
@@ -62,21 +69,21 @@ def source_hash(raw: Column) -> Column:
 
 def strip_markers(text: Column) -> Column:
     """The part between a START and an END marker line, each of them optional."""
-    head = F.regexp_replace(text, r"(?s)^.*?\*\*\* ?START OF [^\n]*?\*\*\*", "")
-    return F.regexp_replace(head, r"(?s)\*\*\* ?END OF [^\n]*?\*\*\*.*$", "")
+    head = F.regexp_replace(text, "(?s)^.*?" + MARKER.format("START"), "")
+    return F.regexp_replace(head, "(?s)" + MARKER.format("END") + ".*$", "")
 
 
 def clean(text: Column) -> Column:
     """Line ends, illustration notes, markup characters, blanks, then dashes set off by blanks; the order matters."""
     steps = [
         (r"\r\n", "\n"),
-        (r"\[Illustration[^\]]*\]", " "),
+        (r"\[Illustration:?[^\]]*\]", " "),
         (r"[_~=]", ""),
         (r"·", " "),
         (r"  +", " "),
         (r"--", "—"),
-        (r"(?<=\S)([—–])", " $1"),
-        (r"([—–])(?=\S)", "$1 "),
+        (rf"(?<={NOT_WS})([—–])", " $1"),
+        (rf"([—–])(?={NOT_WS})", "$1 "),
     ]
     for pattern, to in steps:
         text = F.regexp_replace(text, pattern, to)
@@ -96,20 +103,19 @@ def lines(text: Column) -> Column:
 def looks_like_title(p: Column) -> Column:
     """Heading keyword, bare roman numeral, or a short capitalised phrase without final punctuation."""
     words = F.split(p, " ")
-    letters = F.filter(words, lambda w: w.rlike(r"\p{L}"))
-    content = F.filter(letters, lambda w: ~F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")).isin(TITLE_STOP))
-    capital = F.filter(content, lambda w: w.rlike(r"^[^\p{L}\p{N}]*\p{Lu}"))
+    content = F.filter(words, lambda w: w.rlike(r"\p{L}") & ~F.lower(w).isin(TITLE_STOP))
+    capital = F.filter(content, lambda w: w.rlike(r"^\p{Lu}"))
     share = F.size(capital) / F.greatest(F.size(content), F.lit(1))
-    last = F.element_at(content, -1).rlike(r"^[^\p{L}\p{N}]*\p{Lu}")
+    last = F.get(content, F.size(content) - 1).rlike(r"^\p{Lu}")
     phrase = (
         (F.size(words) <= 8)
         & (F.length(p) <= 60)
         & ~F.substring(p, -1, 1).isin(TITLE_END)
         & p.rlike(r"^\p{Lu}")
         & (F.size(content) > 0)
-        & F.when(F.size(content) > 0, F.when(last, share >= 0.5).otherwise(share >= 0.7)).otherwise(False)
+        & (share >= F.when(last, 0.5).otherwise(0.7))
     )
-    return F.coalesce(p.rlike(rf"(?i)^({HEADING_WORDS})\b") | p.rlike(r"^[IVXLC]+\.?$") | phrase, F.lit(False))
+    return F.coalesce(p.rlike(rf"(?i)^({HEADING_WORDS})\b") | p.rlike(r"^[IVXLC]+\.$") | phrase, F.lit(False))
 
 
 def trim_regex(text: Column, skip_until: str | None, stop_at: str | None) -> Column:
@@ -123,10 +129,15 @@ def trim_regex(text: Column, skip_until: str | None, stop_at: str | None) -> Col
     return text
 
 
+def norm_word(word: Column) -> Column:
+    """One word as the scorer sees it: NFC, lower case, ß as ss, only a-z, digits and umlauts kept."""
+    return F.regexp_replace(F.regexp_replace(nfc_lower(word), "ß", "ss"), "[^a-z0-9äöü]", "")
+
+
 def norm_words(text: Column) -> Column:
-    """Words as the scorer sees them: NFC, lower case, ß as ss, other characters than a-z, digits and umlauts dropped."""
+    """Words of what was said: as ``norm_word``, but other characters part words."""
     folded = F.regexp_replace(nfc_lower(text), "ß", "ss")
-    return F.filter(F.transform(F.split(folded, WS + "+"), lambda w: F.regexp_replace(w, "[^a-z0-9äöü]", "")), lambda w: w != "")
+    return F.filter(F.split(folded, "[^a-z0-9äöü]+"), lambda w: w != "")
 
 
 def num_canon(word: Column) -> Column:
@@ -162,8 +173,8 @@ def orth_proposals(word: Column) -> Column:
 
 
 def lint_tokens(text: Column) -> Column:
-    """Words with apostrophes and hyphens inside, and single marks."""
-    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+(?:['’-][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_\s])"), F.lit(1))
+    """Words, to which apostrophes and hyphens belong, and single marks."""
+    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_’'-]+|[^\p{L}\p{N}_\s])"), F.lit(1))
 
 
 def split_words(text: Column) -> Column:
@@ -187,13 +198,10 @@ def modern_tokens(toks: Column, orth: Column) -> Column:
 
 
 def opus_seconds(text: Column) -> Column:
-    """Seconds of a playback length such as 1h 2m 3.45s; null if there is none."""
-    text = F.regexp_replace(text, r"([hm])(?=[0-9])", "$1 ")
-
-    def part(unit: str) -> Column:
-        return F.coalesce(F.nullif(F.regexp_extract(text, rf"([0-9.]+){unit}\b", 1), F.lit("")).cast("double"), F.lit(0.0))
-
-    return F.when(text.rlike(r"[0-9]s\b|[0-9]m\b|[0-9]h\b"), F.bround(part("h") * 3600 + part("m") * 60 + part("s"), 2))
+    """Seconds of a reported playback length such as 1h:02m:03.4s; null if there is none."""
+    pattern = r"Playback length:\s*(?:(\d+)h)?:?(\d+)m:([\d.]+)s"
+    part = lambda n: F.coalesce(F.nullif(F.regexp_extract(text, pattern, n), F.lit("")).cast("double"), F.lit(0.0))
+    return F.when(text.rlike(pattern), F.bround(part(1) * 3600 + part(2) * 60 + part(3), 2))
 
 
 def token_word_count(toks: Column, sp: Column) -> Column:

@@ -113,7 +113,7 @@ def s19_read_misses(spark, sf_dir):
     return parts.select(F.get("p", F.lit(0)).alias("lemma"), F.explode(F.split(F.get("p", F.lit(1)), ", ")).alias("surface"))
 
 
-_TOK = r"regexp_extract_all({}, '[\pL\pN_]+(?:[''’-][\pL\pN_]+)*|[^\pL\pN_\s]')"
+_TOK = r"regexp_extract_all({}, '[\pL\pN_’''-]+|[^\pL\pN_\s]')"
 
 
 def _in(word: str, *names: str) -> str:
@@ -122,8 +122,8 @@ def _in(word: str, *names: str) -> str:
 
 
 _LINT = CHUNKS + f""", n AS (SELECT c.*, s.lang, lead(t) OVER (PARTITION BY c.book_id, c.sec_idx, level ORDER BY i) AS nxt FROM chunks c JOIN sents s ON c.sent_key = s.sent_key),
-tk AS (SELECT *, {_TOK.format('t')} AS tk, list_filter({_TOK.format("coalesce(nxt, '')")}, lambda w: regexp_matches(w, '[\\pL\\pN_]')) AS nw FROM n),
-p AS (SELECT *, coalesce(tk[-1], '') AS last, lower(coalesce(tk[-1], '')) AS low, CASE WHEN len(tk) > 1 THEN tk[-2] ELSE '' END AS before, coalesce(nw[1], '') AS first, list_filter(tk, lambda w: regexp_matches(w, '[\\pL\\pN_]')) AS words FROM tk),
+tk AS (SELECT *, {_TOK.format('t')} AS tk, list_filter({_TOK.format("coalesce(nxt, '')")}, lambda w: regexp_matches(w, '^[\\pL\\pN_’''-]+$')) AS nw FROM n),
+p AS (SELECT *, coalesce(tk[-1], '') AS last, lower(coalesce(tk[-1], '')) AS low, CASE WHEN len(tk) > 1 THEN tk[-2] ELSE '' END AS before, coalesce(nw[1], '') AS first, list_filter(tk, lambda w: regexp_matches(w, '^[\\pL\\pN_’''-]+$')) AS words FROM tk),
 linted AS (SELECT book_id, level, i, lang, regexp_matches(t, '\\S[—–]\\S') AS glued_dash, {_in('low', 'art')} AND regexp_matches(first, '^\\p{{Ll}}') AS end_art, {_in('low', 'sub')} AS end_sub,
   last = ',' AND {_in('before', 'conj')} AS conj_comma, ({_in('low', 'prep_strict')} AND NOT {_in('low', 'sub')}) OR (NOT ({_in('low', 'prep_strict')} AND NOT {_in('low', 'sub')}) AND {_in('low', 'prep_ambig')} AND {_in('lower(first)', 'art')}) AS end_prep,
   len(words) = 1 AND {_in("lower(coalesce(words[1], ''))", *lint.DE)} AS lone_func FROM p)"""

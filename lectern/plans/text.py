@@ -15,9 +15,9 @@ QUERIES, ORACLES = R.queries, R.oracles
 
 #: Texts with every branch the corpus lacks, as (doc_id, text); both engines get the same rows.
 SAMPLES = [
-    (-1, "*** START OF THE BOOK ***\nOne.\n\nTwo.\n*** END OF THE BOOK ***\ntail"),
-    (-2, "head *** START OF X ***\nOnly a start."),
-    (-3, "Only an end.\n***END OF Y***"),
+    (-1, "*** START OF THE PROJECT GUTENBERG EBOOK A ***\nOne.\n\nTwo.\n*** END OF THE PROJECT GUTENBERG EBOOK A ***\ntail"),
+    (-2, "head *** START OF THIS PROJECT GUTENBERG X ***\nOnly a start."),
+    (-3, "Only an end.\n***END OF THE PROJECT GUTENBERG Y***"),
     (-4, "a--b c -- d e—f g –h\r\n[Illustration: x] _mark_ ~x= y·z  w"),
     (-5, "——— x---y"),
     (-6, "Chapter One\n\nThe Old House\n\nIt was dark.\n\nII.\n\nThe House of the Old Man in the Wood of Pines Far\n\nhe said"),
@@ -32,17 +32,17 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(extra)
 
 
-@R.add(rf"""WITH {DOCS}, a AS (SELECT doc_id, regexp_replace(text, '(?s)^.*?\*\*\* ?START OF [^\n]*?\*\*\*', '') AS t FROM docs)
-SELECT doc_id, md5(regexp_replace(t, '(?s)\*\*\* ?END OF [^\n]*?\*\*\*.*$', '')) AS body FROM a""")
+@R.add(rf"""WITH {DOCS}, a AS (SELECT doc_id, regexp_replace(text, '(?s)^.*?{T.MARKER.format('START')}', '') AS t FROM docs)
+SELECT doc_id, md5(regexp_replace(t, '(?s){T.MARKER.format('END')}.*$', '')) AS body FROM a""")
 def t1_strip_markers(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.md5(T.strip_markers(F.col("text"))).alias("body"))
 
 
-_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\r\n', chr(10), 'g'), '\[Illustration[^\]]*\]', ' ', 'g'), '[_~=]', '', 'g'), '·', ' ', 'g'), '  +', ' ', 'g'), '--', '—', 'g'), '(\S)([—–])', '\1 \2', 'g'), '(\S)([—–])', '\1 \2', 'g'), '([—–])(\S)', '\1 \2', 'g')"
-_CLEAN = rf"regexp_replace({_CLEAN}, '([—–])(\S)', '\1 \2', 'g')"
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\r\n', chr(10), 'g'), '\[Illustration:?[^\]]*\]', ' ', 'g'), '[_~=]', '', 'g'), '·', ' ', 'g'), '  +', ' ', 'g'), '--', '—', 'g'), '(\S)([—–])', '\1 \2', 'g'), '(\S)([—–])', '\1 \2', 'g'), '([—–])(\S)', '\1 \2', 'g')"
+_CLEAN = rf"regexp_replace({_CLEAN}, '([—–])(\S)', '\1 \2', 'g')".replace("\\S", W.replace("[", "[^", 1))
 
 
-@R.add(f"WITH {DOCS} SELECT doc_id, length({_CLEAN.format('text')}) AS n, md5({_CLEAN.format('text')}) AS cleaned FROM docs")
+@R.add(f"WITH {DOCS}, c AS (SELECT doc_id, {_CLEAN.replace('{}', 'text')} AS t FROM docs) SELECT doc_id, length(t) AS n, md5(t) AS cleaned FROM c")
 def t2_clean(spark, sf_dir):
     cleaned = T.clean(F.col("text"))
     return docs(spark, sf_dir).select("doc_id", F.length(cleaned).cast("long").alias("n"), F.md5(cleaned).alias("cleaned"))
@@ -58,12 +58,12 @@ def t3_paragraphs(spark, sf_dir):
 
 def _duck_title(p: str) -> str:
     stop = ", ".join(f"'{w}'" for w in T.TITLE_STOP)
-    end = ", ".join(f"'{w}'" for w in T.TITLE_END)
-    content = rf"list_filter(string_split({p}, ' '), lambda w: regexp_matches(w, '\pL') AND lower(regexp_replace(w, '[^\pL\pN]', '', 'g')) NOT IN ({stop}))"
-    caps = rf"list_filter({content}, lambda w: regexp_matches(w, '^[^\pL\pN]*\p{{Lu}}'))"
-    return rf"""(regexp_matches({p}, '(?i)^({T.HEADING_WORDS})\b') OR regexp_matches({p}, '^[IVXLC]+\.?$') OR (
+    end = ", ".join("'" + w.replace("'", "''") + "'" for w in T.TITLE_END)
+    content = rf"list_filter(string_split({p}, ' '), lambda w: regexp_matches(w, '\pL') AND lower(w) NOT IN ({stop}))"
+    caps = rf"list_filter({content}, lambda w: regexp_matches(w, '^\p{{Lu}}'))"
+    return rf"""(regexp_matches({p}, '(?i)^({T.HEADING_WORDS})\b') OR regexp_matches({p}, '^[IVXLC]+\.$') OR (
       len(string_split({p}, ' ')) <= 8 AND length({p}) <= 60 AND right({p}, 1) NOT IN ({end}) AND regexp_matches({p}, '^\p{{Lu}}') AND len({content}) > 0
-      AND len({caps}) / greatest(len({content}), 1) >= CASE WHEN regexp_matches(({content})[-1], '^[^\pL\pN]*\p{{Lu}}') THEN 0.5 ELSE 0.7 END))"""
+      AND len({caps}) / greatest(len({content}), 1) >= CASE WHEN regexp_matches(({content})[-1], '^\p{{Lu}}') THEN 0.5 ELSE 0.7 END))"""
 
 
 @R.add(f"WITH {DOCS}, {_PARAS} SELECT doc_id, para_idx - 1 AS para_idx, p FROM paras WHERE {_duck_title('p')}")
@@ -127,7 +127,7 @@ def t12_slice_text(spark, sf_dir):
     return s.select("sent_key", part[0].alias("part"), part[1].alias("raw_part"))
 
 
-_WORDS = rf"list_filter(list_transform(regexp_split_to_array(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '{W}+'), lambda w: regexp_replace(w, '[^a-z0-9äöü]', '', 'g')), lambda w: w <> '')"
+_WORDS = "list_filter(regexp_split_to_array(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[^a-z0-9äöü]+'), lambda w: w <> '')"
 
 
 @R.add(f"WITH {DOCS} SELECT doc_id, {_WORDS} AS words FROM docs WHERE text IS NOT NULL")
@@ -204,7 +204,7 @@ def t20_orth_variants(spark, sf_dir):
     return _surfaces(spark, sf_dir).select("w", T.orth_variants(F.col("w")).alias("safe"), T.orth_proposals(F.col("w")).alias("proposed"))
 
 
-@R.add(rf"WITH {DOCS} SELECT doc_id, regexp_extract_all(text, '[\pL\pN_]+(?:[''’-][\pL\pN_]+)*|[^\pL\pN_\s]') AS toks FROM docs WHERE text IS NOT NULL")
+@R.add(rf"WITH {DOCS} SELECT doc_id, regexp_extract_all(text, '[\pL\pN_’''-]+|[^\pL\pN_\s]') AS toks FROM docs WHERE text IS NOT NULL")
 def t21_lint_tokens(spark, sf_dir):
     return docs(spark, sf_dir).where("text IS NOT NULL").select("doc_id", T.lint_tokens(F.col("text")).alias("toks"))
 
@@ -218,12 +218,11 @@ def t25_modern_text(spark, sf_dir):
     return s.select("sent_key", F.trim(T.join_tokens(T.modern_tokens(F.col("toks"), F.col("orth")), F.col("sp"))).alias("text"))
 
 
-LENGTHS = ["Playback length: 3.25s", "1m2.5s", "2h 03m 4s", "none", "59m0.125s", ""]
+LENGTHS = ["Playback length: 0m:03.250s", "x Playback length: 1h:02m:03.456s", "Playback length: 59m:0.125s", "none", ""]
 
 
-@R.add(r"""SELECT text, CASE WHEN regexp_matches(t, '[0-9]s\b|[0-9]m\b|[0-9]h\b') THEN round_even(
-  coalesce(TRY_CAST(nullif(regexp_extract(t, '([0-9.]+)h\b', 1), '') AS DOUBLE), 0) * 3600 + coalesce(TRY_CAST(nullif(regexp_extract(t, '([0-9.]+)m\b', 1), '') AS DOUBLE), 0) * 60
-  + coalesce(TRY_CAST(nullif(regexp_extract(t, '([0-9.]+)s\b', 1), '') AS DOUBLE), 0), 2) END AS seconds FROM (SELECT text, regexp_replace(text, '([hm])([0-9])', '\1 \2', 'g') AS t FROM (VALUES """ + ", ".join(f"('{t}')" for t in LENGTHS) + ") AS v(text))")
+@R.add(r"""WITH v AS (SELECT text, regexp_extract(text, 'Playback length:\s*(?:(\d+)h)?:?(\d+)m:([\d.]+)s', ['h', 'm', 's']) AS x FROM (VALUES """ + ", ".join(f"('{t}')" for t in LENGTHS) + """) AS v(text))
+SELECT text, CASE WHEN x.m <> '' THEN round_even(coalesce(TRY_CAST(nullif(x.h, '') AS DOUBLE), 0) * 3600 + TRY_CAST(x.m AS DOUBLE) * 60 + TRY_CAST(x.s AS DOUBLE), 2) END AS seconds FROM v""")
 def t26_opus_duration(spark, sf_dir):
     rows = spark.createDataFrame([(t,) for t in LENGTHS], "text string")
     return rows.select("text", T.opus_seconds(F.col("text")).alias("seconds"))

@@ -126,8 +126,8 @@ def test_ordinals_equal_one_window(spark):
 
 
 def test_repairs(spark):
-    paras = spark.createDataFrame([(1, i, p) for i, p in enumerate(["intro text.", "Chapter One", "Chapter Two", "it was.", "it is.", "III", "end."])], "d int, i int, p string")
-    assert [(r.sec_idx, r.title, r.p) for r in sections(paras, ["d"], "i", "p").orderBy("i").collect()] == [(0, "", "intro text."), (1, "Chapter Two", "it was."), (1, "Chapter Two", "it is."), (2, "III", "end.")]
+    paras = spark.createDataFrame([(1, i, p) for i, p in enumerate(["intro text.", "Chapter One", "Chapter Two", "it was.", "it is.", "III.", "end."])], "d int, i int, p string")
+    assert [(r.sec_idx, r.title, r.p) for r in sections(paras, ["d"], "i", "p").orderBy("i").collect()] == [(0, "", "intro text."), (1, "Chapter Two", "it was."), (1, "Chapter Two", "it is."), (2, "III.", "end.")]
     units = spark.createDataFrame([("a", i, t) for i, t in enumerate(["„", "Ja", "“", "…", "nein"])] + [("b", 0, "—")], "k string, i int, t string")
     assert [(r.i, r.parts, r.shift) for r in absorb_wordless(units, ["k"], "i", "t").orderBy("i").collect()] == [(1, ["„", "Ja", "“", "…"], 1), (4, ["nein"], 0)]
     pieces = spark.createDataFrame([("a", 0, "er rief: „"), ("a", 1, "Komm“"), ("a", 2, "„"), ("a", 3, "x („")], "k string, i int, t string").withColumn("lang", F.lit("de"))

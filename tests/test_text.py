@@ -22,7 +22,7 @@ def test_clean(spark, raw, want):
 
 
 def test_markers(spark):
-    assert one(spark, "x *** START OF A *** body *** END OF A *** y", T.strip_markers) == " body "
+    assert one(spark, "x *** START OF THE PROJECT GUTENBERG A *** body *** END OF THIS PROJECT GUTENBERG A *** y", T.strip_markers) == " body "
     assert one(spark, "no markers", T.strip_markers) == "no markers"
 
 
@@ -57,7 +57,7 @@ def test_word_match(spark, a, b, want):
 
 def test_numbers_and_durations(spark):
     assert [one(spark, w, T.num_canon) for w in ("007", "zwölf", "0", "dreizehn")] == ["7", "12", "0", None]
-    assert [one(spark, w, T.opus_seconds) for w in ("1h 2m 3.456s", "2m1s", "x")] == [3723.46, 121.0, None]
+    assert [one(spark, w, T.opus_seconds) for w in ("Playback length: 1h:2m:3.456s", "Playback length: 2m:1s", "x")] == [3723.46, 121.0, None]
 
 
 def test_variants(spark):
