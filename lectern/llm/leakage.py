@@ -1,8 +1,8 @@
 """Evaluation passages leaking into training text.
 
 Word n-grams of the passages are kept as a sorted set that every task gets; windows of the documents are looked up in
-it, hits are extended to maximal equal runs, and runs are chained into an alignment that is then verified. Passages
-are taken in blocks of bounded size, so that what is broadcast never grows with the evaluation set.
+it, hits are extended to maximal equal runs, and each run is extended word by word, over exchanged, omitted and added
+words, to the longest alignment through it that is valid. Passages are taken in blocks of bounded size, so that what is broadcast never grows with the evaluation set.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ SEED_WORDS = 4
 #: Words of the passage a leak holds in a row, and the words for each exchanged one.
 MIN_WORDS = 12
 WORDS_PER_ERROR = 7
-#: Words between two runs that still belong together.
-MAX_GAP = 6
 #: A first sentence that so many items share is an instruction, no part of the passage.
 INSTRUCTION_ITEMS = 3
 #: Seeds of one broadcast block.
@@ -125,24 +123,43 @@ class SeedIndex:
         return starts[found], at[found]
 
 
-def _edits(a: np.ndarray, b: np.ndarray) -> int:
-    """Words exchanged, left out or put in between two short word lists."""
-    if not len(a) or not len(b):
-        return max(len(a), len(b))
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def _reach(doc: list[int], item: list[int], most: int) -> list[tuple[int, int]]:
+    """For each number of errors up to ``most``, the most words of the passage that equal the start of ``doc`` up to so many errors, and
+    the words of ``doc`` these take. The last word of both is equal, so errors at the end are never taken in.
 
-
-def verify(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
-    """(words of the passage, errors, document start, document end) of the longest valid alignment, if any."""
+    Diagonals are extended by one error at a time to the furthest equal word (Landau and Vishkin).
+    """
+    n, m = len(item), len(doc)
+    out: list[tuple[int, int]] = []
+    furthest: dict[int, int] = {}
+    for errors in range(most + 1):
+        best = out[-1] if out else (0, 0)
+        row: dict[int, int] = {}
+        for k in range(-errors, errors + 1):  # words of the text less words of the passage
+            i = max(furthest.get(k, -2) + 1, furthest.get(k + 1, -2) + 1, furthest.get(k - 1, -1)) if errors else 0
+            i = min(i, n, m - k)
+            if i < 0 or i + k < 0:
+                continue
+            while i < n and i + k < m and item[i] == doc[i + k]:
+                i += 1
+            row[k] = i
+            while i > best[0] and i + k > 0 and item[i - 1] != doc[i + k - 1]:
+                i -= 1
+            if i > best[0] and i + k > 0:
+                best = (i, i + k)
+        furthest = row
+        out.append(best)
+        if best[0] == n:
+            break
+    return out
+
+
+def _runs(seeds: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(document start, document end, item start) of the longest runs of equal words that the seeds make up."""
     by_diagonal: dict[int, list[int]] = defaultdict(list)
     for d, i in seeds:
         by_diagonal[d - i].append(d)
-    runs = []  # (document start, document end, item start)
+    runs = []
     for diagonal, starts in by_diagonal.items():
         starts = sorted(set(starts))
         begin = prev = starts[0]
@@ -151,46 +168,32 @@ def verify(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> t
                 runs.append((begin, prev + SEED_WORDS, begin - diagonal))
                 begin = s
             prev = s
-    runs.sort()
+    return sorted(runs)
+
+
+def _align(doc: np.ndarray, item: np.ndarray, run: tuple[int, int, int]) -> tuple[int, int, int, int] | None:
+    """(words of the passage, errors, document start, document end) of the longest valid alignment through a run."""
+    a, b, x = run
+    middle = (a + b) // 2  # both ways from here, as a word at the edge of the run may stand for its double beyond it
+    y = x + middle - a
+    most = len(item) // WORDS_PER_ERROR
+    left = _reach(doc[max(0, middle - y - most) : middle][::-1].tolist(), item[:y][::-1].tolist(), most)
+    right = _reach(doc[middle : middle + len(item) - y + most].tolist(), item[y:].tolist(), most)
     best = None
-    by_start = [r[0] for r in runs]
-    # steps[i]: runs that may follow run i, with the words changed between them
-    steps: list[list[tuple[int, int]] | None] = [None] * len(runs)
-
-    def following(i: int) -> list[tuple[int, int]]:
-        if steps[i] is None:
-            a, b, x = runs[i]
-            end = x + b - a
-            out = []
-            for j in range(np.searchsorted(by_start, a + 1), len(runs)):
-                c, d, y = runs[j]
-                if c > b + MAX_GAP:
-                    break
-                if y - end > MAX_GAP or y <= x:
-                    continue
-                over = max(0, b - c, end - y)  # words both runs claim go to the first
-                if d - c - over < 1:
-                    continue
-                out.append((j, _edits(doc[b : c + over], item[end : y + over])))
-            steps[i] = out
-        return steps[i]
-
-    for first, (a, _, x) in enumerate(runs):
-        cost = {first: 0}
-        frontier = [first]
-        while frontier:
-            i = frontier.pop(0)
-            b, length = runs[i][1], runs[i][2] + runs[i][1] - runs[i][0] - x
-            errors = cost[i]
-            if length >= MIN_WORDS and errors * WORDS_PER_ERROR <= length and (best is None or length > best[0]):
-                best = (length, errors, a, b)
-            for j, more in following(i):
-                if errors + more < cost.get(j, 1 << 30):
-                    cost[j] = errors + more
-                    frontier.append(j)
+    for e, (before, back) in enumerate(left):
+        for f, (after, on) in enumerate(right):
+            length = before + after
+            if length >= MIN_WORDS and (e + f) * WORDS_PER_ERROR <= length and (best is None or (length, -e - f) > (best[0], -best[1])):
+                best = (length, e + f, middle - back, middle + on)
     return best
 
 
+def verify(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+    """(words of the passage, errors, document start, document end) of the longest valid alignment, if any."""
+    found = [got for run in _runs(seeds) if (got := _align(doc, item, run))]
+    return max(found, key=lambda g: (g[0], -g[1], -g[2])) if found else None
+
+
 def _scan(index: SeedIndex):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, get = Folder(), index.vocabulary.get

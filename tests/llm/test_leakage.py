@@ -75,3 +75,19 @@ def test_removal(spark):
     cut = {r.doc_id: r.text for r in decontaminate(docs, "doc_id", "text", its, mode="spans").collect()}
     assert cut[2] == FILLER and cut[3] is None
     assert "Hochrad" not in cut[1] and cut[1].startswith(FILLER) and cut[1].endswith(f"{FILLER}.")
+
+
+def exchanged(words, *spots):
+    return " ".join("Rübe" if i in spots else w for i, w in enumerate(words))
+
+
+def test_exchanged_words_near_the_ends(spark):
+    texts = [exchanged(WORDS[:12], 1), exchanged(WORDS[:12], 2), exchanged(WORDS[:12], 10), exchanged(WORDS[:14], 2), exchanged(WORDS[:16], 2, 13), exchanged(WORDS[:11], 3), exchanged(WORDS[:13], 3, 9)]
+    assert {d for d, _ in found(spark, [f"{FILLER}. {t}. {FILLER}" for t in texts])} == {0, 1, 2, 3, 4}
+
+
+def test_exchanged_words_close_together(spark):
+    text = exchanged(WORDS[:23], 8, 12, 16)
+    docs = spark.createDataFrame([(1, f"{FILLER}. {text}. {FILLER}")], "doc_id long, text string")
+    got = leaks(docs, "doc_id", "text", spark.createDataFrame([(7, ITEM)], "item_id long, text string")).collect()
+    assert [(r.words, r.errors, r.end_word - r.start_word) for r in got] == [(23, 3, 23)]
