@@ -188,13 +188,38 @@ def _align(doc: np.ndarray, item: np.ndarray, run: tuple[int, int, int]) -> tupl
     return best
 
 
-def verify(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
-    """(words of the passage, errors, document start, document end) of the longest valid alignment, if any."""
-    found = [got for run in _runs(seeds) if (got := _align(doc, item, run))]
-    return max(found, key=lambda g: (g[0], -g[1], -g[2])) if found else None
+def _rank(got: tuple[int, int, int, int]) -> tuple[int, int, int]:
+    return got[0], -got[1], -got[2]
 
 
-def _scan(index: SeedIndex):
+def verify(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+    """(words of the passage, errors, document start, document end) of the longest valid alignment, if any."""
+    return max((got for run in _runs(seeds) if (got := _align(doc, item, run))), key=_rank, default=None)
+
+
+def verify_all(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """The longest valid alignment, then the longest before and after it in the document, and so on: all are disjoint there."""
+    out = []
+    parts = [(0, len(doc), [(run, got) for run in _runs(seeds) if (got := _align(doc, item, run))])]
+    while parts:
+        lo, hi, known = parts.pop()
+        inside = []
+        for (a, b, x), got in known:
+            if got[2] < lo or got[3] > hi:
+                start, end = max(a, lo), min(b, hi)
+                again = _align(doc[lo:hi], item, (start - lo, end - lo, x + start - a)) if end - start >= SEED_WORDS else None
+                if again is None:
+                    continue
+                (a, b, x), got = (start, end, x + start - a), (*again[:2], again[2] + lo, again[3] + lo)
+            inside.append(((a, b, x), got))
+        if inside:
+            best = max((got for _, got in inside), key=_rank)
+            out.append(best)
+            parts += [(lo, best[2], [k for k in inside if k[0][0] < best[2]]), (best[3], hi, [k for k in inside if k[0][1] > best[3]])]
+    return sorted(out, key=lambda got: got[2])
+
+
+def _scan(index: SeedIndex, every: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder, get = Folder(), index.vocabulary.get
         for batch in by_bytes(batches, "text"):
@@ -217,8 +242,8 @@ def _scan(index: SeedIndex):
                     pairs[row, int(index.owner[first])].append((spot - int(begin[row]), int(index.place[first])))
                     first += 1
             for (row, item), seeds in sorted(pairs.items()):
-                got = verify(ids[begin[row] : begin[row + 1]], index.words[item], seeds)
-                if got:
+                doc = ids[begin[row] : begin[row + 1]]
+                for got in verify_all(doc, index.words[item], seeds) if every else filter(None, [verify(doc, index.words[item], seeds)]):
                     rows.append(row)
                     keys.append(index.keys[item])
                     spans.append(got)
@@ -248,9 +273,11 @@ def _item_blocks(items: DataFrame, item_key: str, item_text: str) -> Iterator[Se
         yield SeedIndex(passages(block))
 
 
-def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str = "item_id", item_text: str = "text", every: bool = False) -> DataFrame:
     """(key, item_id, words, errors, start_word, end_word): each document and item it leaks, with the longest leak.
 
+    With ``every``, all leaks of an item that are disjoint in the document, a row for each.
+
     A leak is at least ``MIN_WORDS`` words in a row of the passage with at most one word in ``WORDS_PER_ERROR``
     exchanged, left out or put in, whatever the case, punctuation, layout, line numbers, hyphenation or accents.
     Null and empty texts and items have none; items of the same id leak together; repeated rows come out each.
@@ -260,7 +287,7 @@ def leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item_key: str
     schema = f"key {kind}, item_id long, words int, errors int, start_word int, end_word int"
     found = None
     for index in _item_blocks(items, item_key, item_text):
-        part = slim.mapInArrow(_scan(index), schema)
+        part = slim.mapInArrow(_scan(index, every), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], schema)
@@ -279,7 +306,7 @@ def remove_span(text: str, spans: list[tuple[int, int]]) -> str:
 
 def decontaminate(docs: DataFrame, key: str, text: str, items: DataFrame, mode: str = "documents") -> DataFrame:
     """The corpus without leaking documents, or with the leaking spans cut out (``mode='spans'``). Keys must be unique."""
-    found = leaks(docs, key, text, items)
+    found = leaks(docs, key, text, items, every=mode == "spans")
     if mode == "documents":
         return docs.join(found.select(key).distinct(), key, "left_anti")
     spans = found.groupBy(key).agg(F.collect_set(F.struct("start_word", "end_word")).alias("__spans"))

@@ -62,7 +62,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(_docs(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "eval_items"))
+    return leaks(_docs(spark, sf_dir), "doc_id", "text", table(spark, sf_dir, "eval_items"), every=True)
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -91,3 +91,17 @@ def test_exchanged_words_close_together(spark):
     docs = spark.createDataFrame([(1, f"{FILLER}. {text}. {FILLER}")], "doc_id long, text string")
     got = leaks(docs, "doc_id", "text", spark.createDataFrame([(7, ITEM)], "item_id long, text string")).collect()
     assert [(r.words, r.errors, r.end_word - r.start_word) for r in got] == [(23, 3, 23)]
+
+
+def test_every_copy_is_found_and_removed(spark):
+    texts = [" und ".join([ITEM] * 30), f"{' '.join(WORDS[:12])}. {FILLER}. {' '.join(WORDS[10:])}. {FILLER}", f"{ITEM} {' '.join(WORDS[8:])}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    its = spark.createDataFrame([(7, ITEM)], "item_id long, text string")
+    got = {}
+    for r in leaks(docs, "doc_id", "text", its, every=True).collect():
+        got.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    n = len(WORDS)
+    assert {k: sorted(v) for k, v in got.items()} == {0: [(i * (n + 1), i * (n + 1) + n) for i in range(30)], 1: [(0, 12), (26, 26 + n - 10)], 2: [(0, n), (n, 2 * n - 8)]}
+    assert leaks(docs, "doc_id", "text", its).count() == 3
+    cut = {r.doc_id: r.text for r in decontaminate(docs, "doc_id", "text", its, mode="spans").collect()}
+    assert set(cut[0].split()) == {"und"} and cut[1] == f"{FILLER}. {FILLER}" and cut[2] == ""
