@@ -315,7 +315,7 @@ def decontaminate(docs: DataFrame, key: str, text: str, items: DataFrame, mode:
     def cut(texts, spans_of):
         import pandas as pd
 
-        return pd.Series([remove_span(t, [(s["start_word"], s["end_word"]) for s in merged(sp)]) for t, sp in zip(texts, spans_of)])
+        return pd.Series([remove_span(t, [(s["start_word"], s["end_word"]) for s in merged(sp)]) if sp is not None else None for t, sp in zip(texts, spans_of)])
 
     def merged(spans):
         out: list[dict] = []
@@ -326,7 +326,6 @@ def decontaminate(docs: DataFrame, key: str, text: str, items: DataFrame, mode:
                 out.append(s)
         return out
 
-    hit = docs.join(spans, key)
-    clean_docs = docs.join(spans.select(key), key, "left_anti")
-    fixed = hit.withColumn(text, cut(F.col(text), F.col("__spans"))).drop("__spans").select(*docs.columns)
-    return clean_docs.select(*docs.columns).unionByName(fixed)
+    joined = docs.join(spans, key, "left")
+    hit = F.col("__spans").isNotNull()
+    return joined.withColumn(text, F.when(hit, cut(F.when(hit, F.col(text)), F.col("__spans"))).otherwise(F.col(text))).select(*docs.columns)
