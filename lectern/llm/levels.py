@@ -18,10 +18,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.arrow import as_array, by_bytes, flat_strings, map_distinct
+from lectern.functions.arrow import as_array, by_bytes, flat_strings, lists_from, map_distinct
 from lectern.llm.mojibake import SUSPECT, repair, token_verdicts
 from lectern.llm.repetition import RULES, THRESHOLD, Words, repeated_share
 from lectern.operators.frequency import canonical_term, latest_by
@@ -36,9 +36,6 @@ LONG_SENTENCE = 18.0
 BOOK_UNCOMMON_SHARE = 0.4
 #: Least words of a document that gets a level.
 MIN_WORDS = 40
-#: Words of the ranked vocabulary that every task gets; words further down share the last rank, which is beyond the
-#: limit of advanced units, so levels do not depend on it.
-MAX_WORDS = 2_000_000
 #: Zipf values are ranked in steps of this width.
 STEP = 0.05
 STEPS = 200
@@ -90,12 +87,12 @@ def batch_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 @dataclass
 class Vocabulary:
-    """Ranked words: for each word and language the zipf step, -1 where the language does not have it."""
+    """Ranked common words: for each word and language the zipf step, -1 where it is not common in the language."""
 
     langs: list[str]
     words: pa.Array
     steps: np.ndarray  # words x langs
-    #: ranks[lang][step]: words of the language at this step or above.
+    #: ranks[lang][step]: words of the language at this step or above, uncommon ones among them.
     ranks: np.ndarray | None = None
 
     def rows(self, distinct: pa.Array) -> np.ndarray:
@@ -142,10 +139,11 @@ def listed_words(gloss: DataFrame) -> DataFrame:
     return forms.join(freq, ["lang", "lemma"], "left").groupBy("lang", "word").agg(F.min("zipf").alias("zipf"))
 
 
-def _collected(rows: DataFrame) -> Vocabulary:
-    """Vocabulary of (lang, word, step) rows."""
+def _collected(rows: DataFrame, langs: list[str] | None = None) -> Vocabulary:
+    """Vocabulary of (lang, word, step) rows, in the languages given, else in their own."""
     got = rows.toArrow()
-    langs = sorted(x for x in pc.unique(got.column("lang")).to_pylist() if x)
+    if langs is None:
+        langs = sorted(x for x in pc.unique(got.column("lang")).to_pylist() if x)
     coded = as_array(got.column("word")).dictionary_encode()
     steps = np.full((len(coded.dictionary), len(langs)), -1, np.int16)
     for i, lang in enumerate(langs):
@@ -194,11 +192,12 @@ ORDER BY coalesce(common_below, 0) / greatest(all_common, 1) + rare_above / grea
 """
 
 
-def build_vocabulary(gloss: DataFrame, docs: DataFrame, common_only: bool = False) -> Vocabulary:
-    """The ranked vocabulary of a corpus; a few aggregating jobs run at once, over all records and documents.
+def build_vocabulary(gloss: DataFrame, docs: DataFrame) -> tuple[Vocabulary, DataFrame]:
+    """The common words of a corpus with the ranks of all, and (lang, word, step) of the uncommon ones, not yet computed.
 
-    With ``common_only`` it holds just the words that are not uncommon, which is all that the advanced level asks for.
-    Of these the unlisted ones number at most 10 ** (9 - zipf of the cut) a language.
+    A few aggregating jobs run at once, over all records and documents. Every common word is sent to the tasks, of any
+    number: those the glosses list, and of the unlisted ones at most 10 ** (9 - zipf of the cut) a language. Uncommon
+    words, whose number grows with the corpus, are only ever joined; ``lang`` is their place in the vocabulary's languages.
     """
     spark = gloss.sparkSession
     common = F.lit(COMMON)
@@ -207,9 +206,7 @@ def build_vocabulary(gloss: DataFrame, docs: DataFrame, common_only: bool = Fals
     joined = None
     try:
         known = listed.where(F.col("listed") >= common).withColumnRenamed("listed", "step")
-        # Languages are told by their common words; of very many an even part by hash does as well.
-        parts = known.count() // MAX_WORDS + 1
-        telling = _collected(known.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == 0))
+        telling = _collected(known)  # languages are told by their common words
         counts = docs.select("text").mapInArrow(_counter(telling), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
         joined = counts.join(listed, ["lang", "word"], "full").persist()
         joined.createOrReplaceTempView("lectern_word_counts")
@@ -227,12 +224,7 @@ def build_vocabulary(gloss: DataFrame, docs: DataFrame, common_only: bool = Fals
         )
         ranked = joined.select("lang", "word", step.alias("step"))
         shape = ranked.groupBy("lang", "step").count().collect()
-        sizes = np.zeros(STEPS, np.int64)
-        for _, at, n in shape:
-            sizes[at] += n
-        above = np.cumsum(sizes[::-1])[::-1]
-        least = COMMON if common_only else min(COMMON, int(np.argmax(above <= MAX_WORDS)) if (above <= MAX_WORDS).any() else STEPS)
-        vocabulary = _collected(ranked.where(F.col("step") >= least))
+        vocabulary = _collected(ranked.where(F.col("step") >= common), sorted({lang for lang, _, _ in shape if lang}))
     finally:
         for table in (joined, listed):
             if table is not None:
@@ -242,7 +234,52 @@ def build_vocabulary(gloss: DataFrame, docs: DataFrame, common_only: bool = Fals
         if lang in vocabulary.langs:
             ranks[vocabulary.langs.index(lang), at] += n
     vocabulary.ranks = np.cumsum(ranks[:, ::-1], axis=1)[:, ::-1]
-    return vocabulary
+    place = F.array_position(F.array(*[F.lit(x) for x in vocabulary.langs]).cast("array<string>"), F.col("lang")).cast("int") - 1
+    return vocabulary, ranked.where(F.col("step") < common).select(place.alias("lang"), "word", "step").where("lang >= 0")
+
+
+#: Words of a unit: a common one by its step, without the word, an uncommon one by the word, without its step.
+ENTRIES = "array<struct<step: int, word: string, n: int>>"
+
+
+def word_entries(words: pa.Array, owner: np.ndarray, steps: np.ndarray, n: int, listed: np.ndarray) -> pa.ListArray:
+    """``ENTRIES`` of each unit; units that are not ``listed`` have uncommon words by their step as well."""
+    by_word = (steps < COMMON) & listed[owner]
+    coded = words.filter(pa.array(by_word)).dictionary_encode()
+    width = STEPS + len(coded.dictionary)
+    codes = steps.astype(np.int64)
+    codes[by_word] = STEPS + coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    found, counts = np.unique(owner * width + codes, return_counts=True)
+    codes = found % width
+    named = codes >= STEPS
+    entries = pa.StructArray.from_arrays(
+        [
+            pa.array(codes.astype(np.int32), mask=named),
+            coded.dictionary.cast(pa.string()).take(pa.array(codes - STEPS, mask=~named)),
+            pa.array(counts.astype(np.int32)),
+        ],
+        ["step", "word", "n"],
+    )
+    return lists_from(entries, found // width, n)
+
+
+def _entry_steps(rows: DataFrame, spread_by: str, uncommon: DataFrame | None) -> DataFrame:
+    """Rows with one entry each: its place ``at``, ``step`` and ``n``; a word that ``uncommon`` does not have is at step 0."""
+    each = rows.select("*", F.posexplode("entries").alias("at", "x")).drop("entries")
+    if uncommon is None:
+        return each.select("*", F.coalesce("x.step", F.lit(0)).alias("step"), "x.n").drop("x")
+    # Entries without a word match none; a key of their own, which no word is, spreads them over the tasks of the join.
+    each = each.withColumn("word", F.coalesce("x.word", F.concat(F.lit(" "), spread_by)))
+    found = each.join(uncommon.withColumnRenamed("step", "found"), ["lang", "word"], "left")
+    return found.select("*", F.coalesce("x.step", "found", F.lit(0)).alias("step"), "x.n").drop("x", "word", "found")
+
+
+def _rank(vocabulary: Vocabulary, step):
+    """Rank of a step in the language ``lang``."""
+    ranks = F.lit(None).cast("array<long>")
+    for i in range(len(vocabulary.langs)):
+        ranks = F.when(F.col("lang") == i, F.array(*[F.lit(int(r)) for r in vocabulary.ranks[i]])).otherwise(ranks)
+    return F.get(ranks, step)
 
 
 def coverage_steps(steps: np.ndarray, owner: np.ndarray, n: int, cover: float = COVER) -> np.ndarray:
@@ -262,14 +299,17 @@ _SHEET = r"(?m)^[^=\r\n]{1,80} = [^\r\n]+[\r\n]+[^=\r\n]{1,80} = "
 _NOTE = r"(?m)^\*\*[0-9]+\. "
 
 
-def document_measures(docs: DataFrame, vocabulary: Vocabulary, advanced_only: bool = False) -> DataFrame:
+def document_measures(docs: DataFrame, vocabulary: Vocabulary, advanced_only: bool = False, entries: bool = False) -> DataFrame:
     """(doc_id, words, sentence_length, coverage_rank, limit_rank, repetitive) of prose and transcripts of enough words.
 
     ``limit_rank`` is the number of words of the text's language that are not uncommon. Garbled texts are measured as
-    if restored. With ``advanced_only`` texts that cannot be advanced are left out early.
+    if restored. With ``advanced_only`` texts that cannot be advanced are left out early. Of a text that common words do
+    not cover, the coverage rank is that of the last word; ``document_ranks`` gives its own from the further columns
+    digest, lang and ``entries``.
     """
     limit = COMMON
-    prose = docs.select("doc_id", "text", "source").where(
+    digest = [F.md5("text").alias("digest")] if entries else []
+    prose = docs.select("doc_id", "text", "source", *digest).where(
         F.col("text").isNotNull()
         & ~F.coalesce(F.col("source"), F.lit("")).isin("study_sheet", "review_note")
         & ~F.col("text").rlike(_SHEET)
@@ -301,24 +341,47 @@ def document_measures(docs: DataFrame, vocabulary: Vocabulary, advanced_only: bo
                 part = part.keep(alive)
             repetitive = np.zeros(len(keep), bool)
             repetitive[alive] = repeated_share(part)[alive] >= THRESHOLD - 1e-9
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id").take(pa.array(keep)),
-                    pa.array(sizes[keep].astype(np.int32)),
-                    pa.array(length, pa.float64()),
-                    pa.array(vocabulary.ranks[lang[keep], cover[keep]]),
-                    pa.array(vocabulary.ranks[lang[keep], limit]),
-                    pa.array(repetitive),
-                ],
-                ["doc_id", "words", "sentence_length", "coverage_rank", "limit_rank", "repetitive"],
-            )
-
-    return prose.mapInArrow(run, "doc_id long, words int, sentence_length double, coverage_rank long, limit_rank long, repetitive boolean")
-
-
-def section_measures(sentences: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit_key, words, sentence_length, coverage_rank, limit_rank) of each section, each sentence counted once."""
-    limit = COMMON
+            columns = {
+                "doc_id": batch.column("doc_id").take(pa.array(keep)),
+                "words": pa.array(sizes[keep].astype(np.int32)),
+                "sentence_length": pa.array(length, pa.float64()),
+                "coverage_rank": pa.array(vocabulary.ranks[lang[keep], cover[keep]]),
+                "limit_rank": pa.array(vocabulary.ranks[lang[keep], limit]),
+                "repetitive": pa.array(repetitive),
+            }
+            if entries:
+                # Only the words that decide are told apart: none of a covered text, the uncommon ones of others.
+                covered = cover >= limit
+                known = np.where(covered[owner], cover[owner], np.where(steps >= limit, limit, 0))
+                columns["digest"] = as_array(batch.column("digest")).take(pa.array(keep))
+                columns["lang"] = pa.array(lang[keep].astype(np.int32))
+                columns["entries"] = word_entries(words, owner, known, len(texts), ~covered).take(pa.array(keep))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    measures = "doc_id long, words int, sentence_length double, coverage_rank long, limit_rank long, repetitive boolean"
+    return prose.mapInArrow(run, f"{measures}, digest string, lang int, entries {ENTRIES}" if entries else measures)
+
+
+def document_ranks(measures: DataFrame, vocabulary: Vocabulary, uncommon: DataFrame) -> DataFrame:
+    """(doc_id, sentence_length, coverage_rank, limit_rank) of the documents measured, ranks taken among all words."""
+    unit = ["doc_id", "digest", "lang", "words", "sentence_length", "limit_rank", "unranked"]
+    each = _entry_steps(measures.withColumnRenamed("coverage_rank", "unranked").select(*unit, "entries"), "digest", uncommon)
+    # Equal documents are summed as one unit and told apart by its words.
+    by_step = each.groupBy(*unit, "step").agg(F.sum("n").alias("n"))
+    inside = Window.partitionBy(*unit)
+    covered = by_step.select(*unit, "step", F.sum("n").over(inside.orderBy(F.desc("step"))).alias("covered"), (F.sum("n").over(inside) / F.col("words")).cast("int").alias("copies"))
+    enough = F.col("covered") >= F.col("copies") * F.ceil(COVER * F.col("words") - 1e-9)
+    found = covered.groupBy(*unit, "copies").agg(F.max(F.when(enough, F.col("step"))).alias("step"))
+    once = found.select("doc_id", "sentence_length", F.coalesce(_rank(vocabulary, F.col("step")), "unranked").alias("coverage_rank"), "limit_rank", "copies")
+    return once.select("*", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "col")
+
+
+def section_measures(sentences: DataFrame, vocabulary: Vocabulary, uncommon: DataFrame | None = None) -> DataFrame:
+    """(unit_key, words, sentence_length, coverage_rank, limit_rank) of each section, each sentence counted once.
+
+    Without the ``uncommon`` words the coverage rank of a section that common words do not cover is that of the last word.
+    """
+    uncommon_joined = uncommon is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -332,24 +395,20 @@ def section_measures(sentences: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 words = token_verdicts(words)[0]
             words = pc.utf8_lower(pc.utf8_trim_whitespace(words))
             steps, lang = vocabulary.steps_of(words, rows, n)
-            codes, counts = np.unique(rows * STEPS + steps, return_counts=True)
-            ends = np.searchsorted(codes // STEPS, np.arange(n + 1)).astype(np.int32)
-            pairs = pa.StructArray.from_arrays([pa.array((codes % STEPS).astype(np.int32)), pa.array(counts.astype(np.int32))], ["step", "n"])
             sizes = np.bincount(rows, minlength=n).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("sent_key", "book_id", "sec_idx", "loaded_at")], pa.array(lang.astype(np.int32)), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), pairs)],
-                ["sent_key", "book_id", "sec_idx", "loaded_at", "lang", "words", "steps"],
+                [*[batch.column(c) for c in ("sent_key", "book_id", "sec_idx", "loaded_at")], pa.array(lang.astype(np.int32)), pa.array(sizes), word_entries(words, rows, steps, n, listed=np.full(n, uncommon_joined))],
+                ["sent_key", "book_id", "sec_idx", "loaded_at", "lang", "words", "entries"],
             )
 
     slim = sentences.where("sent_key IS NOT NULL AND book_id IS NOT NULL AND sec_idx IS NOT NULL").select("sent_key", "book_id", "sec_idx", "loaded_at", "toks")
-    each = slim.mapInArrow(run, "sent_key string, book_id string, sec_idx int, loaded_at timestamp, lang int, words int, steps array<struct<step: int, n: int>>")
-    once = each.groupBy("sent_key").agg(F.max(F.struct("loaded_at", "book_id", "sec_idx", "lang", "words", "steps")).alias("s")).select("s.*").where("words > 0")
+    each = slim.mapInArrow(run, f"sent_key string, book_id string, sec_idx int, loaded_at timestamp, lang int, words int, entries {ENTRIES}")
+    once = each.groupBy("sent_key").agg(F.max(F.struct("loaded_at", "book_id", "sec_idx", "lang", "words", "entries")).alias("s")).select("sent_key", "s.*").where("words > 0")
     # One row per section and step: a section of any size is combined before the shuffle.
     spark = sentences.sparkSession
-    once.select("book_id", "sec_idx", "lang", "words", F.explode("steps").alias("x"), F.element_at("steps", 1).getField("step").alias("first")).createOrReplaceTempView("lectern_section_words")
-    ranks = F.lit(None).cast("array<long>")
-    for i in range(len(vocabulary.langs)):
-        ranks = F.when(F.col("lang") == i, F.array(*[F.lit(int(r)) for r in vocabulary.ranks[i]])).otherwise(ranks)
+    steps = _entry_steps(once, "sent_key", uncommon)
+    # The first entry of a sentence stands for it.
+    steps.select("book_id", "sec_idx", "lang", "words", F.struct("step", "n").alias("x"), F.when(F.col("at") == 0, F.col("step")).otherwise(-1).alias("first")).createOrReplaceTempView("lectern_section_words")
     shaped = spark.sql(f"""
         WITH parts AS (
           SELECT book_id, sec_idx, x.step AS step, sum(x.n) AS n, count_if(x.step = first) AS sentences,
@@ -365,7 +424,7 @@ def section_measures(sentences: DataFrame, vocabulary: Vocabulary) -> DataFrame:
           max(step) FILTER (WHERE covered >= {COVER} * words - 1e-9) AS step, CAST(round(max(all_lang) / max(all_sentences)) AS int) AS lang
         FROM summed GROUP BY book_id, sec_idx
     """)
-    return shaped.select("unit_key", F.col("words").cast("int").alias("words"), "sentence_length", F.get(ranks, F.col("step")).alias("coverage_rank"), F.get(ranks, F.lit(limit)).alias("limit_rank"))
+    return shaped.select("unit_key", F.col("words").cast("int").alias("words"), "sentence_length", _rank(vocabulary, F.col("step")).alias("coverage_rank"), _rank(vocabulary, F.lit(COMMON)).alias("limit_rank"))
 
 
 LEVEL_SQL = f"""
@@ -396,7 +455,7 @@ def book_levels(books: DataFrame) -> DataFrame:
 
 def advanced_units(docs: DataFrame, sentences: DataFrame, gloss: DataFrame, books: DataFrame) -> DataFrame:
     """(unit, unit_key) of every document, section and book at level advanced."""
-    vocabulary = build_vocabulary(gloss, docs, common_only=True)
+    vocabulary, _ = build_vocabulary(gloss, docs)
     texts = document_measures(docs, vocabulary, advanced_only=True).where(~F.col("repetitive")).select(F.lit("document").alias("unit"), F.col("doc_id").cast("string").alias("unit_key"), "sentence_length", "coverage_rank", "limit_rank")
     sections = section_measures(sentences, vocabulary).select(F.lit("section").alias("unit"), "unit_key", "sentence_length", "coverage_rank", "limit_rank")
     texts.unionByName(sections).createOrReplaceTempView("lectern_measures")
@@ -412,14 +471,22 @@ def reading_levels(docs: DataFrame, sentences: DataFrame, gloss: DataFrame, book
     keys and token lists give no row. Books have no coverage rank.
     """
     spark: SparkSession = docs.sparkSession
-    vocabulary = build_vocabulary(gloss, docs)
-    texts = document_measures(docs, vocabulary).where(~F.col("repetitive")).select(F.lit("document").alias("unit"), F.col("doc_id").cast("string").alias("unit_key"), "sentence_length", "coverage_rank", "limit_rank")
-    sections = section_measures(sentences, vocabulary).select(F.lit("section").alias("unit"), "unit_key", "sentence_length", "coverage_rank", "limit_rank")
-    texts.unionByName(sections).createOrReplaceTempView("lectern_measures")
+    vocabulary, uncommon = build_vocabulary(gloss, docs)
+
+    def measures(documents: DataFrame, sections: DataFrame) -> DataFrame:
+        columns = ["unit_key", "sentence_length", "coverage_rank", "limit_rank"]
+        documents = documents.withColumn("unit_key", F.col("doc_id").cast("string"))
+        return documents.select(F.lit("document").alias("unit"), *columns).unionByName(sections.select(F.lit("section").alias("unit"), *columns))
+
+    # The sentence lengths need no uncommon words.
+    texts = document_measures(docs, vocabulary).where(~F.col("repetitive"))
+    measures(texts, section_measures(sentences, vocabulary)).createOrReplaceTempView("lectern_measures")
     ratings.createOrReplaceTempView("lectern_ratings")
     row = spark.sql(BEGINNER_SQL.format(measures="lectern_measures", ratings="lectern_ratings")).first()
     limit = float(row[0]) if row and row[0] is not None else BEGINNER_LENGTH
-    units = spark.sql(LEVEL_SQL.format(measures="lectern_measures", beginner_length=limit))
+    texts = document_measures(docs, vocabulary, entries=True).where(~F.col("repetitive"))
+    measures(document_ranks(texts, vocabulary, uncommon), section_measures(sentences, vocabulary, uncommon)).createOrReplaceTempView("lectern_ranked_measures")
+    units = spark.sql(LEVEL_SQL.format(measures="lectern_ranked_measures", beginner_length=limit))
     printed = book_levels(books).select(
         F.lit("book").alias("unit"),
         "unit_key",

@@ -6,6 +6,7 @@ from datetime import datetime
 import numpy as np
 import pytest
 
+from lectern.llm import levels
 from lectern.llm.levels import advanced_units, coverage_steps, reading_levels, sentence_shape
 
 COMMON = [f"wört{chr(97 + i)}" for i in range(20)]
@@ -63,6 +64,47 @@ def test_empty_tables(tables):
     assert {r.unit for r in advanced_units(tables[0], tables[1], empty[2], tables[3]).collect()} <= {"book"}
 
 
+def test_coverage_ranks_count_every_word_of_a_vocabulary_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(levels, "MAX_WORDS", 1, raising=False)  # no such limit may come back
+    rng = random.Random(5)
+    zipf = {w: 0.3 + 0.03 * i for i, w in enumerate(RARE)}
+    docs = [(i, text(rng, 10, 24, 0.2 + 0.05 * i), "retelling", 1, "k") for i in range(8)]
+    docs += [docs[3], (3, text(rng, 10, 24, 0.6), "preface", 1, "k")]  # one delivered twice, and its number for another text
+    sents = [(f"b:{sec}:{i}", "b", sec, [*sentence(rng, 12, 0.3 + 0.2 * sec), "."], T, 1) for sec in range(3) for i in range(20)]
+    gloss = [(1, "de", {w: w for w in COMMON + RARE}, zipf, T, "x")]
+    make = spark.createDataFrame
+    got = reading_levels(make(docs, DOC), make([*sents, sents[0]], SENT), make(gloss, GLOSS), make([], BOOK), make([], RATE)).collect()
+
+    def rank(words):
+        step = {w: int(round(z / 0.05, 6)) for w, z in zipf.items()}
+        steps = sorted((step.get(w, 70) for w in words), reverse=True)
+        last = next(s for i, s in enumerate(steps, 1) if i >= 0.83 * len(steps) - 1e-9)
+        return 0 if last == 70 else len(COMMON) + sum(s >= last for s in step.values())
+
+    want = [("document", str(d[0]), rank(d[1].lower().replace(".", "").split())) for d in docs]
+    want += [("section", f"b:{sec}", rank([w for s in sents if s[2] == sec for w in s[3][:-1]])) for sec in range(3)]
+    assert sum(r > len(COMMON) for *_, r in want) > 8
+    assert sorted((r.unit, r.unit_key, r.coverage_rank if r.coverage_rank > len(COMMON) else 0) for r in got) == sorted(want)
+
+
+def test_languages_are_told_by_all_common_words(spark, monkeypatch):
+    monkeypatch.setattr(levels, "MAX_WORDS", 1, raising=False)
+    rng = random.Random(6)
+    english = [f"word{chr(97 + i)}" for i in range(20)]
+    seldom = [f"seldom{chr(97 + i)}{chr(97 + j)}" for i in range(10) for j in range(10)]
+    # The frequent words that no gloss lists are common in the language of their texts.
+    pools = [(english, 0.6), (["oftena", "oftenb", "oftenc"], 0.95), (seldom, 1.0)]
+
+    def plain(n):
+        return [rng.choice(next(pool for pool, most in pools if x < most)) for x in (rng.random() for _ in range(n))]
+
+    docs = [(i, " ".join(" ".join(plain(24)).capitalize() + "." for _ in range(10)), "retelling", 1, "k") for i in range(5)]
+    docs += [(9, text(rng, 10, 24, 0.4), "retelling", 1, "k")]
+    gloss = [(1, "de", {w: w for w in COMMON + RARE}, {w: 1.5 for w in RARE}, T, "x"), (2, "en", {w: w for w in english + seldom}, {w: 1.5 for w in seldom}, T, "x")]
+    make = spark.createDataFrame
+    assert [r.unit_key for r in advanced_units(make(docs, DOC), make([], SENT), make(gloss, GLOSS), make([], BOOK)).collect()] == ["9"]
+
+
 def test_coverage_equals_brute_force():
     rng = np.random.default_rng(1)
     owner = np.sort(rng.integers(0, 30, 400))
